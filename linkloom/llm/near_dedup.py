@@ -4,8 +4,11 @@ A document's set holds the hashes of its distinct word shingles. 128 MinHash
 minima give 25 band keys of 5 minima each for candidates; of each minimum the 2
 low bits are retained, packed into four longs. The similarity of a candidate
 pair is estimated from the matching 2-bit fields, counted by bits and corrected
-for chance matches (a quarter); pairs far under the bound go, and all others are
-confirmed on their full sets. Equal sets are one node throughout, so exact
+for chance matches (a quarter); pairs far under the bound go. So do pairs whose
+parity sketches (of each of 1024 bits, whether an odd number of elements falls on
+it) differ in more bits than the sets of linked documents could differ in
+elements: each differing element flips one bit, so no link is lost. All others
+are confirmed on their full sets. Equal sets are one node throughout, so exact
 copies cost one row each; see ``linking`` for large groups of near copies.
 
 Bands of 5 miss a pair of similarity 0.85 with probability (1 - 0.85**5)**25 =
@@ -35,6 +38,9 @@ from .linking import link_groups
 MINIMA, BAND, BITS = 128, 5, 2
 BANDS = MINIMA // BAND
 SIGNATURE = ["s0", "s1", "s2", "s3"]
+PARITY_BITS = 1024
+PARITY = [f"p{k}" for k in range(PARITY_BITS // 64)]
+SKETCH = [*SIGNATURE, *PARITY, "n_shingles"]
 _random = np.random.Generator(np.random.PCG64(20240917))
 _XOR = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _ODD = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,6 +81,8 @@ def _sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             mixed = T.mix(minima.astype(np.uint64) ^ (np.arange(MINIMA, dtype=np.uint64) << T.U64(32)))
             low = (mixed & T.U64((1 << BITS) - 1)).reshape(n, len(SIGNATURE), -1)
             packed = np.bitwise_or.reduce(low << (np.arange(low.shape[2], dtype=np.uint64) * T.U64(BITS)), axis=2).view(np.int64)
+            odd = np.array([np.bincount((s & T.U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1 for s in sets], np.uint8).reshape(n, PARITY_BITS)
+            parity = np.packbits(odd, axis=1, bitorder="little").view("<i8")
             bands = minima[:, : BANDS * BAND].astype(np.uint64).reshape(n, BANDS, BAND)
             keys = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for k in range(BAND):
@@ -82,8 +90,8 @@ def _sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             ids = np.array([_identity(s) for s in sets], np.int64).reshape(n, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(packed[:, k]) for k in range(len(SIGNATURE))], lists],
-                ["doc_id", "n_shingles", "id1", "id2", *SIGNATURE, "bands"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, parity) for k in range(x.shape[1])], lists],
+                ["doc_id", "n_shingles", "id1", "id2", *SIGNATURE, *PARITY, "bands"],
             )
 
     return run
@@ -125,9 +133,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    columns = "doc_id long, n_shingles long, id1 long, id2 long, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    columns = "doc_id long, n_shingles long, id1 long, id2 long, " + ", ".join(f"{s} long" for s in (*SIGNATURE, *PARITY))
     rows = cut(docs.mapInArrow(_sketches(size), columns + ", bands array<long>"))
-    firsts = rows.where("n_shingles > 0").groupBy("id1", "id2").agg(F.min("doc_id").alias("doc_id"), *[F.min(s).alias(s) for s in ("n_shingles", *SIGNATURE)])
+    firsts = rows.where("n_shingles > 0").groupBy("id1", "id2").agg(F.min("doc_id").alias("doc_id"), *[F.min(s).alias(s) for s in SKETCH])
     nodes = cut(firsts.withColumn("node", F.monotonically_increasing_id()))
     banded = rows.where("n_shingles > 0").select("id1", "id2", "doc_id", "bands").dropDuplicates(["id1", "id2"])
     buckets = banded.join(nodes.select("id1", "id2", "node"), ["id1", "id2"]).select("node", F.explode("bands").alias("bucket"))
@@ -150,7 +158,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
         return test
 
-    linked = link_groups(nodes, buckets, SIGNATURE, lambda a, b: estimate(a, b) >= F.lit(bound - 5 * error), confirm)
+    def near(a: str, b: str) -> Column:
+        apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY), F.lit(0))
+        both = F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
+        # of both = union + intersection, at most this share lies outside the intersection
+        return (estimate(a, b) >= F.lit(bound - 5 * error)) & (apart * (100 + percent) <= both * (100 - percent))
+
+    linked = link_groups(nodes, buckets, SKETCH, near, confirm)
     labelled = nodes.select("node", "id1", "id2", "doc_id").join(linked, "node", "left")
     grouped = cut(labelled.select("id1", "id2", "doc_id", F.coalesce("component", "node").alias("component")))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
