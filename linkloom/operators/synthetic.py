@@ -41,6 +41,7 @@ def _targets(node: np.ndarray, edge: np.ndarray, attempt: int, c: GeneratorConfi
     at, slot, tries = node.copy(), edge.copy(), np.full(len(node), attempt)
     out = np.full(len(node), -1)
     open_ = np.arange(len(node))
+    own = _dice(c.seed, node, edge, tries, 2) >= c.cross_share  # these stay in the community all the way
     while len(open_):
         v, e, a = at[open_], slot[open_], tries[open_]
         wide = _dice(c.seed, v, e, a, 2) < c.cross_share
@@ -50,7 +51,8 @@ def _targets(node: np.ndarray, edge: np.ndarray, attempt: int, c: GeneratorConfi
         chosen = np.where(wide | (earlier == 0), np.floor(pick * v).astype(np.int64), local)
         none = v == 0
         which = np.floor(_dice(c.seed, v, e, a, 4) * (c.edges_per_node + 1)).astype(np.int64)
-        ends = none | (which == 0) | _dangling(chosen, c) | (chosen == 0)
+        leaves = own[open_] & ((chosen < c.communities) | (_dice(c.seed, chosen, which - 1, np.zeros_like(chosen), 2) < c.cross_share))
+        ends = none | (which == 0) | _dangling(chosen, c) | (chosen == 0) | leaves
         out[open_[ends]] = np.where(none, -1, chosen)[ends]
         on = ~ends
         at[open_[on]], slot[open_[on]], tries[open_[on]] = chosen[on], which[on] - 1, 0
