@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import cut, prepare
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "top_word")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_marked", "top_word")
 _WHITE = " \t\n\v\f\r"
-_SYMBOL, _UPPER, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", bytes(range(65, 91)), b"!?"))
+_SYMBOL, _UPPER, _MARK, _ODD = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", bytes(range(65, 91)), b"!?", b"#*$%&|<>@^~_={}[]\\/+"))
 
 
 def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -53,6 +53,8 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
             repeated[again + k] = True
     lines = [[line for line in (t or "").split("\n") if line.strip(_WHITE)] for t in column.to_pylist()]
     inside = ~T._SPACE[data]
+    odd = np.concatenate([[0], np.cumsum(_ODD[data])])
+    marked = odd[ends] > odd[starts]
     return {
         "n_words": n_words,
         "word_chars": _per_text(inside & ((data & 0xC0) != 0x80), offsets),
@@ -62,6 +64,7 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
         "n_lines": np.array([len(x) for x in lines], np.int64),
         "n_upper": _per_text(_UPPER[data], offsets),
         "n_marks": _per_text(_MARK[data], offsets),
+        "n_marked": np.bincount(text_of, marked, len(n_words)).astype(np.int64),
         "top_word": top,
     }
 
@@ -72,7 +75,7 @@ def measure(docs: DataFrame) -> DataFrame:
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with
     a word, equal to an earlier line), n_repeat_words (words in 3-word windows
     found more than once in the text), n_lines (lines with a word), n_upper (A-Z),
-    n_marks (! and ?), top_word (how often the most frequent word is there).
+    n_marks (! and ?), n_marked (words with an odd character), top_word (how often the most frequent word is there).
     """
     prepare(docs.sparkSession)
 
@@ -94,11 +97,13 @@ def votes() -> dict[str, Column]:
     """The rules as columns of the counts."""
     per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
     symbols, repeats, marks, length = per_word("n_symbols"), per_word("n_repeat_words"), per_word("n_marks"), per_word("word_chars")
-    lines = F.when(F.col("n_lines") > 2, F.col("n_dup_lines") / F.col("n_lines"))
+    marked = per_word("n_marked")
+    lines = F.when(F.col("n_lines") > 4, F.col("n_dup_lines") / F.col("n_lines"))
     upper = F.when(F.col("word_chars") > 0, F.col("n_upper") / F.col("word_chars"))
     top = F.when(F.col("n_words") >= 20, F.col("top_word") / F.col("n_words"))
     return {
         "few symbols": _rule(symbols, symbols < 0.02, symbols > 0.1),
+        "few marked words": _rule(marked, marked < 0.03, marked > 0.1),
         "few repeated runs": _rule(repeats, repeats < 0.1, repeats > 0.3),
         "few repeated lines": _rule(lines, lines < 0.1, lines > 0.3),
         "plain case": _rule(upper, upper < 0.1, upper > 0.25),
@@ -108,17 +113,21 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: dict[int, int], rules: int, rounds: int = 200) -> tuple[np.ndarray, dict[int, float]]:
+def estimate(patterns: dict[int, int], rules: int, rounds: int = 200, begin: tuple = (0.99, 0.4), least: tuple = (0.99, 0.02)) -> tuple[np.ndarray, dict[int, float]]:
     """(rules, 2) accuracies about good and bad documents, and each pattern's posterior of good.
 
-    Starts with rules that are right 8 times of 10 and good documents in the
-    majority; ten documents' worth of that belief stay in every estimate.
+    A rule that looks for one defect is seldom wrong about good documents, but votes
+    good on most bad ones, which have another. So its accuracy about good documents
+    starts at 0.99 and stays there or above, that about bad ones starts at 0.4 and is
+    free; as every defect is looked at by two rules, their agreement tells which
+    documents are bad. Ten documents' worth of these beliefs stay in every estimate.
     """
     codes = sorted(patterns)
     table = np.array([[c // 3**k % 3 for k in range(rules)] for c in codes], int).reshape(len(codes), rules)
     weight = np.array([patterns[c] for c in codes], float)
     good_vote, bad_vote = table == 1, table == 2
-    accuracy, prior = np.full((rules, 2), 0.8), 0.8
+    start = np.array(begin)
+    accuracy, prior = np.tile(start, (rules, 1)), 0.8
     posterior = np.zeros(len(codes))
     for _ in range(rounds):
         log_good = np.log(prior) + good_vote @ np.log(accuracy[:, 0]) + bad_vote @ np.log(1 - accuracy[:, 0])
@@ -126,7 +135,7 @@ def estimate(patterns: dict[int, int], rules: int, rounds: int = 200) -> tuple[n
         now = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
         for side, share, right, wrong in ((0, now, good_vote, bad_vote), (1, 1 - now, bad_vote, good_vote)):
             hits, misses = (weight * share) @ right, (weight * share) @ wrong
-            accuracy[:, side] = np.clip((hits + 8) / (hits + misses + 10), 0.5, 0.999)
+            accuracy[:, side] = np.clip((hits + 10 * start[side]) / (hits + misses + 10), least[side], 0.9999)
         prior = float(np.clip((weight @ now + 8) / (weight.sum() + 10), 0.01, 0.99))
         if np.abs(now - posterior).max(initial=0) < 1e-9:
             break
