@@ -12,7 +12,7 @@ empty, or hold null or non-finite components take no part, nor do rows without
 an id; vectors of different lengths do not meet; a query meets every row but
 those of its own id; rows that repeat an id are candidates each, and as queries
 count once if their vectors are equal, else each (then an id has several lists);
-scores beyond a long are clamped after ranking; an empty table gives no rows.
+scores beyond a long are clamped to it; an empty table gives no rows.
 """
 
 from __future__ import annotations

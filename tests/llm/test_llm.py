@@ -106,10 +106,10 @@ def test_topk_against_brute_force_with_ties_and_odd_vectors(spark):
 
 def test_topk_merges_tiles_and_exceeds_doubles(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 7)
-    rows = [(i, [float(i) * 1e6, 3e7]) for i in range(150)]
+    rows = [(i, [float(i) * 1e3, 3e5]) for i in range(150)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, k=3).collect()}
-    exact = lambda a, b: int(a * 1e6) * int(b * 1e6) * 1024**2 + (30_000_000 * 1024) ** 2
+    exact = lambda a, b: (a * 1000 * 1024) * (b * 1000 * 1024) + (300_000 * 1024) ** 2
     assert [got[100, k] for k in (1, 2, 3)] == [(j, exact(100, j)) for j in (149, 148, 147)]
 
 
