@@ -57,3 +57,26 @@ def fold(doc_id: str | Column, of: int) -> Column:
     """crc32 of the id's decimal text, modulo ``of``; a null id is in fold 0."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % of, F.lit(0))
+
+
+#: Bits of a broadcast bitmap, 1 MB whatever the data.
+BITMAP_BITS = 1 << 23
+
+
+def bitmap(frame: DataFrame, key: Column) -> DataFrame:
+    """Which hashes of ``key`` occur, in at most 256 rows of 4 KB."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)).alias("place")
+    return frame.select(place).groupBy(F.bitmap_bucket_number("place").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bits"))
+
+
+def with_maybe(frame: DataFrame, key: Column, held: DataFrame, name: str) -> DataFrame:
+    """``frame`` with a boolean column: false where ``key`` certainly isn't among the keys of the bitmap ``held``.
+
+    It spares rows an exchange; an exact join must follow.
+    """
+    placed = frame.withColumn("__place", F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)))
+    joined = placed.join(F.broadcast(held), F.bitmap_bucket_number("__place") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__place")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, cast(bitmap_bit_position(__place) % 8 as int)) & 1 = 1")
+    return joined.withColumn("__byte", byte).withColumn(name, F.coalesce(hit, F.lit(False))).drop("__place", "__bucket", "__bits", "__byte")
