@@ -81,15 +81,15 @@ def _grow(spark: SparkSession, args) -> str:
 
 
 def _rank(spark: SparkSession, args) -> str:
+    if args.update in ("warm", "localised") and not args.prev_scores:
+        raise SystemExit(f"--update {args.update} needs --prev-scores")
+    if args.update == "localised" and args.version < 1:
+        raise SystemExit("--update localised needs a version that another precedes")
     edges = readers.version(spark, args.graph, args.version)
     config = RankConfig(args.damping, args.max_iter, None if args.no_convergence else args.threshold, args.norm)
     previous = readers.scores(spark, args.prev_scores) if args.prev_scores else None
-    if args.update in ("warm", "localised") and previous is None:
-        raise SystemExit(f"--update {args.update} needs --prev-scores")
     change = None
     if args.update == "localised":
-        if args.version < 1:
-            raise SystemExit("--update localised needs a version that another precedes")
         change = incremental.delta(readers.version(spark, args.graph, args.version - 1), edges)
     if args.update in ("sequential", "full"):
         result = P.converge(P.Graph.of(edges), config, execution=args.strategy)
