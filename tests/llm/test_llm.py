@@ -161,6 +161,27 @@ def test_lines_keep_one_occurrence(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_near_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    lines = []
+    for n in (5, 8, 12, 20, 27, 40, 70, 120):
+        for changed in (1, 2, n // 7):
+            for _ in range(12 if changed else 0):
+                base = rng.choices(vocabulary, k=n)
+                other = list(base)
+                for k in rng.sample(range(n), changed):
+                    other[k] = rng.choice(vocabulary)
+                lines += [" ".join(base), " ".join(other)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    a, b = (frame.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    alike = F.levenshtein("ta", "tb") <= F.greatest(F.length("ta"), F.length("tb")) * 0.2
+    later = {r["b"] for r in a.join(b, (F.col("a") < F.col("b")) & alike).select("b").distinct().collect()}
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(frame).where("__n_removed > 0").collect()}
+    assert gone <= later and len(later) > 200
+    assert len(gone) >= 0.97 * len(later), (len(gone), len(later))
+
+
 def test_line_dedup_against_exact_copies(spark, docs, texts, odd):
     got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
     tables = str.maketrans("123456789\t\r\v\f", "000000000    ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
