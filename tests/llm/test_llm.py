@@ -161,6 +161,12 @@ def test_lines_keep_one_occurrence(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_equal_beyond_ascii(spark):
+    lines = ['"red" it\'s - x 12', "\u201cred\u201d it\u2019s \u2013 x\u00a0\u0661\u0662", "\u2022 red its x 34", "\u2022 \u2014", "\u2022 \u2014", "r\u00e9d its x 12 more words"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {0: lines[0], 1: "", 2: "", 3: lines[3], 4: lines[4], 5: lines[5]}
+
+
 def test_near_lines_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
