@@ -167,6 +167,19 @@ def test_lines_equal_beyond_ascii(spark):
     assert got == {0: lines[0], 1: "", 2: "", 3: lines[3], 4: lines[4], 5: lines[5]}
 
 
+def test_near_lines_of_a_million_words(spark, monkeypatch):
+    long = F.repeat(F.lit("ab cd "), 1 << 19)
+    frame = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(long, F.when(F.col("id") < 2, F.concat(F.lit("ef"), "id")).otherwise(F.lit("gh ij"))).alias("text"))
+    assert line_dedup._sketched(frame.select(F.col("doc_id").alias(line_dedup._ID), F.lit(1).cast("long").alias(line_dedup._HASH), "text")).where("sim is not null").count() == 3
+    frame = frame.where("doc_id < 2").withColumn("text", F.concat("text", F.when(F.col("doc_id") == 1, F.lit(" kl")).otherwise(F.lit(" mn"))))
+    assert [r["__n_removed"] for r in line_dedup.dedup_lines(frame).orderBy("doc_id").collect()] == [0, 1]
+    # both kinds of counters tell the same bits
+    texts = spark.createDataFrame([(1, 1, f"a b\n{'x y z ' * 9}q\n{' '.join(map(str, range(200, 250)))} p q r")], f"{line_dedup._ID} long, {line_dedup._HASH} long, text string")
+    sims = {r["pos"]: r["sim"] for r in line_dedup._sketched(texts).collect()}
+    monkeypatch.setattr(line_dedup, "LONG", 3)
+    assert sims == {r["pos"]: r["sim"] for r in line_dedup._sketched(texts).collect()} and len(sims) == 3
+
+
 def test_near_lines_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
