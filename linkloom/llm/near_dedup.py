@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -90,8 +90,8 @@ def _sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             ids = np.array([_identity(s) for s in sets], np.int64).reshape(n, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, parity) for k in range(x.shape[1])], lists],
-                ["doc_id", "n_shingles", "id1", "id2", *SIGNATURE, *PARITY, "bands"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, parity) for k in range(x.shape[1])], lists],
+                ["doc_id", "hash", "n_shingles", "id1", "id2", *SIGNATURE, *PARITY, "bands"],
             )
 
     return run
@@ -124,16 +124,15 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - _mismatches(left, right) / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
-    size: words of a shingle. percent: documents link if 100 * intersection >=
-    percent * union. component_id: the least doc_id that links reach, itself
-    included; kept: whether it is the document's own.
-    """
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of text, n_shingles, id1, id2, sketches) of each row, and (id1, id2, doc_id, component) of each set."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    columns = "doc_id long, n_shingles long, id1 long, id2 long, " + ", ".join(f"{s} long" for s in (*SIGNATURE, *PARITY))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash("text").alias("hash"))
+    columns = "doc_id long, hash long, n_shingles long, id1 long, id2 long, " + ", ".join(f"{s} long" for s in (*SIGNATURE, *PARITY))
     rows = cut(docs.mapInArrow(_sketches(size), columns + ", bands array<long>"))
     firsts = rows.where("n_shingles > 0").groupBy("id1", "id2").agg(F.min("doc_id").alias("doc_id"), *[F.min(s).alias(s) for s in SKETCH])
     nodes = cut(firsts.withColumn("node", F.monotonically_increasing_id()))
@@ -167,8 +166,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     linked = link_groups(nodes, buckets, SKETCH, near, confirm)
     labelled = nodes.select("node", "id1", "id2", "doc_id").join(linked, "node", "left")
     grouped = cut(labelled.select("id1", "id2", "doc_id", F.coalesce("component", "node").alias("component")))
+    return rows, grouped
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    size: words of a shingle. percent: documents link if 100 * intersection >=
+    percent * union. component_id: the least doc_id that links reach, itself
+    included; kept: whether it is the document's own.
+    """
+    rows, grouped = _grouped(docs, size, percent)
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = grouped.join(least, "component").select("id1", "id2", "least")
     held = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "id1", "id2").join(of_set, ["id1", "id2"]).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return held.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with exactly one row of each group that links make, whatever ids rows share or lack.
+
+    It is the row of the least (doc_id, hash of text), a null id last; of rows that
+    are equal in both, the least by a hash of all columns. Rows without words all stay.
+    """
+    rows, grouped = _grouped(docs, size, percent)
+    held = rows.where("n_shingles > 0").join(grouped.select("id1", "id2", "component"), ["id1", "id2"])
+    counted = held.groupBy("component", "doc_id", "hash").agg(F.count("*").alias("times"))
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "times")).alias("first")).select("first.doc_id", "first.hash", "first.times")
+    empty = rows.where("n_shingles = 0").select("doc_id", "hash", F.lit(1).cast("long").alias("times")).distinct()
+    kept = cut(first.unionByName(empty).select(F.col("doc_id").alias("__kept_id"), F.col("hash").alias("__kept_hash"), F.col("times").alias("__times")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (text_hash("text") == F.col("__kept_hash"))
+    out = docs.join(kept.where("__times = 1"), same, "left_semi")
+    repeated = kept.where("__times > 1")
+    if repeated.limit(1).count():
+        equal = Window.partitionBy("__kept_id", "__kept_hash").orderBy(F.xxhash64(*docs.columns))
+        some = docs.join(repeated, same).withColumn("__number", F.row_number().over(equal)).where("__number = 1")
+        out = out.unionByName(some.select(docs.columns))
+    return out

@@ -426,6 +426,17 @@ def test_secrets_of_odd_rows(spark, odd):
 # The pipeline
 
 
+def test_near_dedup_stage_keeps_one_row_a_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (7, a + " end"), (1, b), (1, b), (2, c), (2, b), (None, d), (None, d), (None, d + " end"), (3, ""), (3, ""), (None, None)]
+    frame = spark.createDataFrame([(*r, "en", "s", k) for k, r in enumerate(rows)], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_near_dedup(spark, frame, DATA).collect()]
+    assert collections.Counter((i, t) for i, t in got if t not in (d, d + " end")) == collections.Counter([(7, a + " end"), (1, b), (2, c), (3, ""), (3, ""), (None, None)])
+    assert [i for i, t in got if t in (d, d + " end")] == [None]
+
+
 def test_pipeline(spark, docs, texts):
     import corpus_pipeline
 
