@@ -22,6 +22,7 @@ layout null and no turns; an empty table gives no rows; other columns are not lo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,6 +38,11 @@ _TEXT_PAIRS = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 _ROLE_PAIRS = (*_TEXT_PAIRS, (":", "\\c"), ("\n", "\\n"))
 
 
+def fingerprint_of(paths: str) -> int:
+    """60 bits of the SHA-256 of field paths; ``fingerprint`` is the same as a column."""
+    return int(hashlib.sha256(paths.encode()).hexdigest()[:15], 16)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Field paths, and where the turns are.
@@ -65,6 +71,8 @@ LAYOUTS = {
     "system, prompt and response": Layout("OBJECT<prompt, response, system>", (("system", ("system",)), ("user", ("prompt",)), (ASSISTANT, ("response",)))),
     "question and answer": Layout("OBJECT<answer, question>", (("user", ("question",)), (ASSISTANT, ("answer",)))),
 }
+#: Fingerprint to layout, the one table by which typed columns and JSON records select.
+FINGERPRINTS = {fingerprint_of(layout.paths): name for name, layout in LAYOUTS.items()}
 #: Names that other layouts have for the canonical roles.
 ROLES = {"human": "user", "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 _TURN = "struct<role:string,text:string>"
@@ -86,7 +94,7 @@ def record_paths(record: Column) -> Column:
 
 
 def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+    return F.conv(F.substring(F.sha2(paths.cast("string"), 256), 1, 15), 16, 10).cast("long")
 
 
 def _canonical(role: Column) -> Column:
@@ -116,11 +124,10 @@ def _turns(layout: Layout, field: Callable[[str], Column], items: Callable[[Layo
 
 def turns_of_columns(frame: DataFrame, record: str) -> tuple[str | None, Column]:
     """The layout of a typed struct column, by its fingerprint, and its turns."""
-    paths = schema_paths(frame.schema[record].dataType)
-    for name, layout in LAYOUTS.items():
-        if layout.paths == paths:
-            return name, _turns(layout, lambda f: F.col(f"{record}.{f}"), lambda own: F.col(f"{record}.{own.each}"))
-    return None, F.expr(f"cast(array() as array<{_TURN}>)")
+    name = FINGERPRINTS.get(fingerprint_of(schema_paths(frame.schema[record].dataType)))
+    if name is None:
+        return None, F.expr(f"cast(array() as array<{_TURN}>)")
+    return name, _turns(LAYOUTS[name], lambda f: F.col(f"{record}.{f}"), lambda own: F.col(f"{record}.{own.each}"))
 
 
 def turns_of_json(frame: DataFrame, record: str) -> DataFrame:
@@ -128,8 +135,8 @@ def turns_of_json(frame: DataFrame, record: str) -> DataFrame:
     parsed = frame.withColumn("__v", F.try_parse_json(F.col(record)))
     parsed = parsed.withColumn("__print", fingerprint(record_paths(F.col("__v"))))
     name, turns = F.lit(None).cast("string"), F.expr(f"cast(array() as array<{_TURN}>)")
-    for own, layout in LAYOUTS.items():
-        here = F.col("__print") == fingerprint(F.lit(layout.paths))
+    for print_, own in FINGERPRINTS.items():
+        layout, here = LAYOUTS[own], F.col("__print") == F.lit(print_)
         items = lambda x: F.try_variant_get("__v", f"$.{x.each}", f"array<struct<{x.role}:string,{x.text}:string>>")
         found = _turns(layout, lambda f: F.try_variant_get("__v", f"$.{f}", "string"), items)
         name, turns = F.when(here, F.lit(own)).otherwise(name), F.when(here, found).otherwise(turns)

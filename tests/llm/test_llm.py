@@ -395,6 +395,15 @@ def test_chat_layouts(spark):
     assert all(got[i] == (None, []) for i in (6, 7, 8, 9))
 
 
+def test_chat_fingerprints_select(spark, monkeypatch):
+    frame = spark.createDataFrame([(("user", "q", 1),)], "record struct<role:string,text:string,turn:long>")
+    paths = chat.LAYOUTS["turn row"].paths
+    assert frame.select(chat.fingerprint(F.lit(paths))).first()[0] == chat.fingerprint_of(paths)
+    assert chat.turns_of_columns(frame, "record")[0] == "turn row"
+    monkeypatch.setattr(chat, "FINGERPRINTS", {k: v for k, v in chat.FINGERPRINTS.items() if v != "turn row"})
+    assert chat.turns_of_columns(frame, "record")[0] is None
+
+
 # 10
 
 
