@@ -3,7 +3,10 @@
 Base spans are found by three patterns (``BASE``). Beyond them a lexer splits
 each line that assigns something into names, string literals, bare values and
 operators, and reads name-literal pairs from source and configuration syntax
-(``name = "a" + OTHER``, ``name: value``, ``"name": "value"``, ``name => 'v'``).
+(``name = "a" + OTHER``, ``name: value``, ``"name": "value"``, ``name => 'v'``,
+also inside brackets, with a type as in ``name: str = "a"`` or ``char name[] = "a"``,
+and of a subscripted key, ``x["name"] = "a"``). A value may stand on the next line
+unless that line assigns something itself.
 Literals of a name are kept as its constants and follow it through later
 assignments and concatenations. A literal is reported as kind ``lexed`` if the
 target's name is sensitive, the literal looks like a secret, and no span found
@@ -34,7 +37,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs of AKIA[A-Z0-9]+ of 20 charact
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs of [0-9a-f]+ of 24 characters or more
 LEXED = "lexed"
 
-_LEXEME = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<op>:=|=>|==|[=:+,;])|(?P<bare>[^\s"'=:+,;]+)""", re.ASCII)
+_LEXEME = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<op>:=|=>|==|[=:+,;()\[\]{}])|(?P<bare>[^\s"'=:+,;]+)""", re.ASCII)
+#: A bare value that begins with a bracket.
+_BRACKETED = re.compile(r"""[(\[{][^\s"'=:+,;]+""", re.ASCII)
+_ASSIGNS = ("=", ":", ":=", "=>")
+_OPENS, _CLOSES = ("(", "[", "{"), (")", "]", "}")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Parts of a name and how sensitive they make it; pairs count if both parts are there.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "bearer": 0.7, "pin": 0.5}
@@ -61,39 +68,111 @@ def strength(literal: str) -> float:
     return min(1.0, entropy / 3) * (1.0 if kinds >= 2 else 0.5)
 
 
+def _lexed(line: str, at: int) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, text) of the tokens; a bare value ends before a bracket that closes one opened before it."""
+    tokens, depth, k = [], 0, 0
+    while m := _LEXEME.search(line, k):
+        value, k = m[0], m.end()
+        depth += (value in _OPENS) - (value in _CLOSES and depth > 0)
+        if m.lastgroup == "bare":
+            opened = depth
+            while opened and len(value) > 1 and value[-1] in _CLOSES and sum(map(value.count, _CLOSES)) > sum(map(value.count, _OPENS)):
+                value, opened = value[:-1], opened - 1
+            k = m.start() + len(value)
+        tokens.append((m.lastgroup, at + m.start(), at + m.start() + len(value), value))
+    return tokens
+
+
+def _statements(text: str):
+    """Tokens of each line that assigns something, with the lines on which its value goes on."""
+    at, pending = 0, []
+    for line in text.split("\n"):
+        assigns = "=" in line or ":" in line
+        tokens = _lexed(line, at) if assigns or pending else []
+        at += len(line) + 1
+        if pending and not tokens:
+            continue
+        if pending and any(t[0] == "op" and t[3] in _ASSIGNS for t in tokens):
+            yield pending
+            pending = []
+        tokens = pending + tokens
+        last = len(tokens) - 1
+        while last > 0 and tokens[last][3] in ("(", "\\"):
+            last -= 1
+        if last > 0 and tokens[last][0] == "op" and tokens[last][3] in (*_ASSIGNS, "+"):
+            pending = [t for t in tokens if t[3] != "\\"]
+        else:
+            pending = []
+            yield tokens
+    yield pending
+
+
+def _target(tokens: list, k: int) -> tuple[str, int] | None:
+    """The name that is assigned at k, and where its value begins."""
+    kind, _, _, name = tokens[k]
+    if kind not in ("name", "text"):
+        return None
+    at, what = k + 1, lambda i: tokens[i][3] if i < len(tokens) else ""
+    while kind == "name" and what(at) == "[":
+        if what(at + 1) == "]":
+            at += 2
+        elif what(at + 2) == "]":
+            name, at = what(at + 1) if tokens[at + 1][0] == "text" else name, at + 3
+        else:
+            return None
+    if at >= len(tokens) or tokens[at][0] != "op" or tokens[at][3] not in _ASSIGNS:
+        return None
+    if what(at) == ":":  # name: type = value
+        end = at + 1
+        while end < min(len(tokens), at + 16) and (tokens[end][0] in ("name", "bare") or what(end) in ("[", "]") or what(end) == "," and what(end - 1) != "]"):
+            end += 1
+        if end > at + 1 and tokens[at + 1][0] == "name" and what(end) == "=" and (end == at + 2 or what(at + 2) in ("[", "|") or what(at + 2)[:1] in ("<", "&")):
+            at = end
+    return name.strip("\"'"), at + 1
+
+
 def _pairs(text: str):
     """(name, [(start, end) of the literals in its value, own or propagated]) in order."""
     constants: dict[str, list[tuple[int, int]]] = {}
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            tokens = [(m.lastgroup, at + m.start(), at + m.end(), m[0]) for m in _LEXEME.finditer(line)]
-            k = 0
-            while k + 2 < len(tokens):
-                kind, _, _, name = tokens[k]
-                if kind not in ("name", "text") or tokens[k + 1][3] not in ("=", ":", ":=", "=>"):
-                    k += 1
-                    continue
-                name, k, literals = name.strip("\"'"), k + 2, []
-                while k < len(tokens):
-                    kind, start, end, value = tokens[k]
-                    if kind == "text":
-                        literals.append((start + 1, end - 1))
-                    elif kind == "name" and value in constants:
-                        literals += constants[value]
-                    elif kind in ("name", "bare"):
-                        literals.append((start, end))
-                    else:
+    for tokens in _statements(text):
+        k = 0
+        while k + 2 < len(tokens):
+            target = _target(tokens, k)
+            if target is None:
+                k += 1
+                continue
+            (name, k), literals = target, []
+            while k < len(tokens):
+                kind, start, end, value = tokens[k]
+                if value in _OPENS and kind == "op":
+                    m = _BRACKETED.match(text, start)
+                    after = k + 1
+                    while m and after < len(tokens) and tokens[after][1] < m.end():
+                        after += 1
+                    if m and not (after < len(tokens) and tokens[after][3] in _ASSIGNS):
+                        literals.append(m.span())
+                        k = after - 1
+                    elif m or value == "{":
                         break
-                    k += 1
-                    if k < len(tokens) and tokens[k][3] == "+":
-                        k += 1
                     else:
-                        break
-                if literals:
-                    constants[name] = literals
-                    yield name, literals
-        at += len(line) + 1
+                        k += 1
+                        continue
+                elif kind == "text":
+                    literals.append((start + 1, end - 1))
+                elif kind == "name" and value in constants:
+                    literals += constants[value]
+                elif kind in ("name", "bare"):
+                    literals.append((start, end))
+                else:
+                    break
+                k += 1
+                if k < len(tokens) and tokens[k][3] == "+":
+                    k += 1
+                else:
+                    break
+            if literals:
+                constants[name] = literals
+                yield name, literals
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

@@ -424,6 +424,14 @@ def test_lexed_spans():
     assert spans('title = "hunter22x"\npwd_length = "12345678a"\nthe pwd is nice') == []
 
 
+def test_lexed_spans_of_calls_types_keys_and_next_lines():
+    spans = lambda t: [t[s:e] for s, e, k in secrets.scan(t) if k == "lexed"]
+    held = ('connect(pwd="hunter22x")', "{pwd: 'hunter22x'}", 'db_pwd: str = "hunter22x"', 'char pwd[] = "hunter22x";', 'os.environ["DB_PWD"] = "hunter22x"', 'db_pwd =\n    "hunter22x"', 'db_pwd = (\n  "hunter22x"\n)')
+    held += ("f(pwd=7unter22x)", 'db_pwd: Optional[str] = "hunter22x"', 'login(user="me", pwd="hunter22x")', "auth = {pwd: 'hunter22x'}", 'db_pwd = \\\n"hunter22x"', "pwd:\n  hunter22x", 'if x:\n  pwd = "hunter22x"', "char pwd[16] = 'hunter22x'")
+    assert {t: [x.replace("7", "h") for x in spans(t)] for t in held} == {t: ["hunter22x"] for t in held}
+    assert spans("pwd = {abc123!Q}") == ["{abc123!Q}"] and spans("pwd = 1abc(23)!Q") == ["1abc(23)!Q"]
+
+
 def test_secrets_of_odd_rows(spark, odd):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == [] for r in rows)
