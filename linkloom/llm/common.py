@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpoint_folder
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch: with texts of 100 KB a batch stays near 10 MB.
@@ -14,16 +14,9 @@ BATCH_ROWS = 96
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, since texts may be very long, and a checkpoint folder.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (as in tests) a temporary one is made.
-    """
+    """Small Arrow batches, since texts may be very long, and the shared checkpoint folder."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkloom-checkpoint-"))
+    checkpoint_folder(spark)
     return spark
 
 
