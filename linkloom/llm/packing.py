@@ -12,7 +12,7 @@ splitter never join text across a space or a line break, so words between these
 can be tokenised one by one. Words seen anew in a batch are tokenised together.
 
 Defined cases: null and empty texts give one piece, the end id; strings of the
-special tokens in a text are ordinary text; rows that repeat a doc_id are packed
+special tokens in a text are these tokens, as the tokenizer has it; rows that repeat a doc_id are packed
 each for itself; an empty table gives no rows. Other columns are not looked at.
 """
 
@@ -38,9 +38,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 class WordTable(dict):
@@ -49,12 +47,13 @@ class WordTable(dict):
     def __init__(self, path: str):
         super().__init__({"": b""})
         self.path = path
+        self.special = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
     def _learn(self, words: set[str]) -> None:
-        """A closing point or comma after a letter is a token run of its own; ASCII is put in lower case as the normaliser does."""
+        """A closing point or comma after what is a letter in lower case too is a token run of its own; ASCII is put in lower case as the normaliser does."""
         cores = {}
         for w in words:
-            end = w[-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else ""
+            end = w[-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2].lower().isalpha() else ""
             core = w[:-1] if end else w
             cores[w] = (core.lower() if core.isascii() else core), end
         new = list({c for pair in cores.values() for c in pair if c not in self})
@@ -69,13 +68,16 @@ class WordTable(dict):
         if len(self) > KEPT_WORDS:
             self.clear()
             self[""] = b""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        # added tokens are found in the text before it is split
+        special = {i for i, t in enumerate(texts) if t and any(x in t for x in self.special)}
+        split = [[] if i in special else (t or "").replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         found = [list(map(self.get, words)) for words in split]
         new = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
         if new:
             self._learn(new)
             found = [list(map(self.get, words)) if None in got else got for words, got in zip(split, found, strict=True)]
-        return [b"".join(got) for got in found]
+        whole = {i: np.array(_tokenizer(self.path).encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in special}
+        return [whole[i] if i in special else b"".join(got) for i, got in enumerate(found)]
 
 
 @functools.lru_cache(maxsize=2)
