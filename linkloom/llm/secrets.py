@@ -8,7 +8,8 @@ also inside brackets, with a type as in ``name: str = "a"`` or ``char name[] = "
 and of a subscripted key, ``x["name"] = "a"``). A value may stand on the next line
 unless that line assigns something itself.
 Literals of a name are kept as its constants and follow it through later
-assignments and concatenations. A literal is reported as kind ``lexed`` if the
+assignments and concatenations, as a graph of values each of which is looked at once for a
+risk, so the work stays in proportion to the text. A literal is reported as kind ``lexed`` if the
 target's name is sensitive, the literal looks like a secret, and no span found
 before overlaps it.
 
@@ -19,6 +20,7 @@ gives no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -75,10 +77,11 @@ def _lexed(line: str, at: int) -> list[tuple[str, int, int, str]]:
         value, k = m[0], m.end()
         depth += (value in _OPENS) - (value in _CLOSES and depth > 0)
         if m.lastgroup == "bare":
-            opened = depth
-            while opened and len(value) > 1 and value[-1] in _CLOSES and sum(map(value.count, _CLOSES)) > sum(map(value.count, _OPENS)):
-                value, opened = value[:-1], opened - 1
-            k = m.start() + len(value)
+            keep, spare = len(value), min(depth, sum(map(value.count, _CLOSES)) - sum(map(value.count, _OPENS)))
+            while spare > 0 and keep > 1 and value[keep - 1] in _CLOSES:
+                keep, spare = keep - 1, spare - 1
+            value = value[:keep]
+            k = m.start() + keep
         tokens.append((m.lastgroup, at + m.start(), at + m.start() + len(value), value))
     return tokens
 
@@ -131,9 +134,18 @@ def _target(tokens: list, k: int) -> tuple[str, int] | None:
     return name.strip("\"'"), at + 1
 
 
+class Value:
+    """What a name holds: literals of its own, and the values of the names in its expression."""
+
+    __slots__ = ("literals", "parts", "risk")
+
+    def __init__(self):
+        self.literals, self.parts, self.risk = [], [], 0.0
+
+
 def _pairs(text: str):
-    """(name, [(start, end) of the literals in its value, own or propagated]) in order."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    """(name, its value) in order."""
+    constants: dict[str, Value] = {}
     for tokens in _statements(text):
         k = 0
         while k + 2 < len(tokens):
@@ -141,7 +153,7 @@ def _pairs(text: str):
             if target is None:
                 k += 1
                 continue
-            (name, k), literals = target, []
+            (name, k), held = target, Value()
             while k < len(tokens):
                 kind, start, end, value = tokens[k]
                 if value in _OPENS and kind == "op":
@@ -150,7 +162,7 @@ def _pairs(text: str):
                     while m and after < len(tokens) and tokens[after][1] < m.end():
                         after += 1
                     if m and not (after < len(tokens) and tokens[after][3] in _ASSIGNS):
-                        literals.append(m.span())
+                        held.literals.append(m.span())
                         k = after - 1
                     elif m or value == "{":
                         break
@@ -158,11 +170,11 @@ def _pairs(text: str):
                         k += 1
                         continue
                 elif kind == "text":
-                    literals.append((start + 1, end - 1))
+                    held.literals.append((start + 1, end - 1))
                 elif kind == "name" and value in constants:
-                    literals += constants[value]
+                    held.parts.append(constants[value])
                 elif kind in ("name", "bare"):
-                    literals.append((start, end))
+                    held.literals.append((start, end))
                 else:
                     break
                 k += 1
@@ -170,9 +182,42 @@ def _pairs(text: str):
                     k += 1
                 else:
                     break
-            if literals:
-                constants[name] = literals
-                yield name, literals
+            if held.literals or held.parts:
+                constants[name] = held
+                yield name, held
+
+
+def _reached(held: Value, risk: float):
+    """Literals that reach a name so sensitive; values that as great a risk has reached before are not looked at again."""
+    todo = [held]
+    while todo:
+        value = todo.pop()
+        if value.risk < risk:
+            value.risk = risk
+            yield from value.literals
+            todo += value.parts
+
+
+class Taken:
+    """Spans that meet no other: their begins and ends in order."""
+
+    def __init__(self, spans):
+        self.begins, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.begins.append(start)
+                self.ends.append(end)
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the span was free; now it is not."""
+        at = bisect.bisect_right(self.ends, start)
+        if start >= end or at < len(self.begins) and self.begins[at] < end:
+            return False
+        self.begins.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -186,14 +231,10 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         found += [(*m.span(), 1) for m in ACCESS.finditer(text)]
     found += [(*m.span(), 2) for m in HEX.finditer(text)]
     if assigns:
-        taken = list(found)
-        for name, literals in _pairs(text):
-            if (risk := sensitivity(name)) < THRESHOLD:
-                continue
-            for start, end in literals:
-                if risk * strength(text[start:end]) >= THRESHOLD and not any(s < end and start < e for s, e, _ in taken):
-                    taken.append((start, end, 3))
-                    found.append((start, end, 3))
+        taken = Taken((s, e) for s, e, _ in found)
+        for name, held in _pairs(text):
+            if (risk := sensitivity(name)) >= THRESHOLD:
+                found += [(s, e, 3) for s, e in _reached(held, risk) if risk * strength(text[s:e]) >= THRESHOLD and taken.take(s, e)]
     return [(s, e, (*KINDS, LEXED)[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
