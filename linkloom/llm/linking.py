@@ -52,21 +52,17 @@ def link_groups(
     sketch: list[str],
     near: Callable[[str, str], Column],
     confirm: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-    rare: bool = False,
 ) -> DataFrame:
     """(node, component) of all nodes that have a link.
 
-    nodes: (node long, the columns ``sketch``), kept by ``cut``. buckets: (bucket
-    long, node long). near(left, right): whether sketches are near, given the
+    nodes: (node long, the columns ``sketch``), kept by ``cut`` or ``stored``. buckets:
+    (bucket long, node long), whose rows may repeat. near(left, right): whether sketches are near, given the
     prefixes of both sides' columns. confirm(nodes that share a bucket) prepares
-    and returns the exact test from (a, b) pairs to those that are links. rare:
-    most buckets hold one node; counts then tell most of these before nodes are shuffled.
+    and returns the exact test from (a, b) pairs to those that are links.
     """
-    if rare:
-        shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        buckets = with_maybe(buckets, F.col("bucket"), bitmap(shared, F.col("bucket")), "maybe").where("maybe").drop("maybe")
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = cut(buckets.join(heads.select("bucket", "head"), "bucket"))
+    heads = cut(buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head"))
+    likely = with_maybe(buckets, F.col("bucket"), bitmap(heads, F.col("bucket")), "maybe").where("maybe").select("bucket", "node")
+    members = cut(likely.join(heads, "bucket").distinct())
     used = cut(members.select("node").distinct())
     nodes = cut(nodes.join(used, "node"))
     test = confirm(used)
