@@ -42,10 +42,11 @@ class Ranks:
 
 @dataclass
 class Graph:
-    """Distinct edges (src, dst), vertices (id, out_degree)."""
+    """Distinct edges (src, dst), vertices (id, out_degree); weights (src, dst, w) if they are computed already."""
 
     edges: DataFrame
     vertices: DataFrame
+    weights: DataFrame | None = None
 
     @classmethod
     def of(cls, edges: DataFrame, declared: DataFrame | None = None) -> Graph:
@@ -56,11 +57,14 @@ class Graph:
         return cls(edges, nodes)
 
     def kept(self) -> Graph:
-        """Both tables computed once; for iterations in several blocks."""
-        return Graph(cut(self.edges), cut(self.vertices))
+        """Weighted edges and vertices computed once; for iterations in several blocks."""
+        weights = cut(self.weighted())
+        return Graph(weights.select("src", "dst"), cut(self.vertices), weights)
 
     def weighted(self) -> DataFrame:
         """(src, dst, w), w = 1 / out-degree of src."""
+        if self.weights is not None:
+            return self.weights
         return self.edges.join(G.out_degrees(self.edges), F.col("src") == F.col("id")).select("src", "dst", (1 / F.col("out_degree")).alias("w"))
 
 
@@ -104,7 +108,8 @@ def _history(graph: Graph, start: DataFrame | None, steps: int, damping: float,
         names = ["p", "u"]
         state = state.join(start.select(F.col("id").alias("of"), F.col("rank").alias("p0")), F.col("id") == F.col("of")).drop("of")
     if steps > 1:  # both are read again and again
-        edges, state = cut(edges), cut(state)
+        edges = edges if active is None and graph.weights is not None else cut(edges)
+        state = cut(state)
     if active is not None and steps > 1:
         still = state.where("not active").select(F.col("id").alias("from"), "p0")
         sent = edges.join(still, F.col("src") == F.col("from"))
