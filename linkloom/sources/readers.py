@@ -97,16 +97,27 @@ def warc_pages(records: DataFrame, root: str, attempts: int = 3) -> DataFrame:
     return records.select("url", "filename", "offset", "length").mapInPandas(run, "url string, html string")
 
 
+def _lines_and_wholes(spark: SparkSession, path: str, line: str, held: str, whole: str) -> tuple[DataFrame, DataFrame]:
+    """(r) of the lines that are objects with the field ``held``, and of all of each file that has no such line."""
+    parsed = spark.read.text(path).select(F.input_file_name().alias("file"), F.from_json("value", line).alias("r")).where(f"r.{held} is not null")
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    rest = texts.join(parsed.select("file").distinct(), "file", "left_anti")
+    return parsed.select("r"), rest.select(F.from_json("value", whole).alias("r"))
+
+
 def link_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(key, url, links) of cached extractions, one JSON object a file or line; corrupt entries are misses."""
-    rows = spark.read.option("multiLine", True).schema("url string, links array<string>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("url is not null and links is not null").select(cache_key(F.col("url")).alias("key"), "url", "links")
+    """(key, url, links) of cached extractions, one JSON object a line, or a file over several lines; corrupt entries are misses."""
+    schema = "url string, links array<string>"
+    lines, wholes = _lines_and_wholes(spark, path, schema, "url", schema)
+    rows = lines.unionByName(wholes).select("r.url", "r.links").where("url is not null and links is not null")
+    return rows.select(cache_key(F.col("url")).alias("key"), "url", "links")
 
 
 def adjacency_json(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of one JSON object from sources to lists of targets, or of several; repeats stay."""
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return rows.select(F.explode("m").alias("src", "targets")).select("src", F.explode("targets").alias("dst"))
+    """(src, dst) of lines {"source": ..., "targets": [...]}, or of files with one object from sources to lists of targets; repeats stay."""
+    lines, wholes = _lines_and_wholes(spark, path, "source string, targets array<string>", "source", "map<string,array<string>>")
+    mapped = wholes.select(F.explode("r").alias("src", "targets"))
+    return lines.select(F.col("r.source").alias("src"), "r.targets").unionByName(mapped).select("src", F.explode("targets").alias("dst"))
 
 
 def edges_csv(spark: SparkSession, path: str) -> DataFrame:

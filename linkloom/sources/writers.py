@@ -33,7 +33,8 @@ def delta(change: Delta, path: str) -> None:
 
 
 def cache(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
+    """Entries (url, links) as JSON lines, beside those that are there."""
+    entries.select("url", "links").write.mode("append").json(path)
 
 
 def top_scores(ranks: DataFrame, n: int = 1000) -> DataFrame:

@@ -73,6 +73,14 @@ def test_scores_and_cache(spark, tmp_path):
     (tmp_path / "c1.json").write_text(json.dumps({"url": "http://a/", "links": ["http://b/"]}))
     (tmp_path / "c2.json").write_text("{corrupt")
     assert [r["url"] for r in readers.link_cache(spark, f"{tmp_path}/c*.json").collect()] == ["http://a/"]
+    for entry in (("http://x/", ["http://y/"]), ("http://z/", []), ("http://w/", ["http://x/", "http://x/"])):
+        writers.cache(spark.createDataFrame([entry], "url string, links array<string>"), f"{tmp_path}/cache")
+    writers.cache(spark.createDataFrame([("http://p/", []), ("http://q/", [])], "url string, links array<string>").coalesce(1), f"{tmp_path}/cache")
+    (tmp_path / "cache" / "own.json").write_text(json.dumps({"url": "http://m/", "links": ["http://n/"]}, indent=1))
+    assert sorted(r["url"] for r in readers.link_cache(spark, f"{tmp_path}/cache").collect()) == [f"http://{x}/" for x in "mpqwxz"]
+    edges = [("a", "b"), ("a", "b"), ("a", "c"), ("d", "a")]
+    writers.adjacency_json(spark.createDataFrame(edges, "src string, dst string"), f"{tmp_path}/adjacency")
+    assert sorted(map(tuple, readers.adjacency_json(spark, f"{tmp_path}/adjacency").collect())) == edges
     made = []
     table = f"{tmp_path}/made"
     for _ in range(2):
