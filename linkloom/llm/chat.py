@@ -112,8 +112,9 @@ def _turn(role: Column, text: Column) -> Column:
 def _turns(layout: Layout, field: Callable[[str], Column], items: Callable[[Layout], Column]) -> Column:
     if layout.each:
         return F.transform(items(layout), lambda m: _turn(m[layout.role], m[layout.text]))
-    if layout.role:
-        return F.array(_turn(field(layout.role), field(layout.text)))
+    if layout.role:  # a row of a table of turns, whose roles are names of its own
+        turn = _turn(field(layout.role), field(layout.text))
+        return F.array(turn.withField("role", F.coalesce(field(layout.role).cast("string"), F.lit(""))))
     made = []
     for k, (role, fields) in enumerate(layout.turns):
         text = F.array_join(F.filter(F.array(*[field(f).cast("string") for f in fields]), lambda x: x != ""), "\n\n")

@@ -502,3 +502,11 @@ def test_pipeline(spark, docs, texts):
         counts.append(frame.count())
     assert counts[0] <= len(texts) and counts[1] <= counts[0] and counts[2] <= counts[1]
     assert corpus_pipeline.run(spark, DATA).agg(F.sum("length")).first()[0] > 0
+
+
+def test_turn_rows_keep_their_roles(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, " Assistant ", "b"), (1, 2, "gpt", "c"), (1, 3, "assistant", "d"), (1, 4, None, "e")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_turn_rows(frame).select(chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t["role"], t["text"]) for t in out["turns"]] == [(r or "", t) for _, _, r, t in rows]
+    assert out["loss"] == "d"
