@@ -11,12 +11,34 @@ from pyspark.sql import functions as F
 from ..config import ExtractConfig
 from .urls import netloc, resolve, strip
 
-ANCHOR = r'(?i)<a\s(?:[^>]*?\s)?href="([^"]*)"'
+#: What holds no tags: comments, and the elements whose content is plain text.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+_NAME = r"""[^\s"'<>/=]+"""
+#: An anchor's first href; the repeated group is possessive, so that many attributes need no stack.
+ANCHOR = rf"(?i)<a(?=[\s/])(?:\s+|/|(?!href\s*=){_NAME}(?:\s*=\s*{_VALUE})?)*+href\s*=\s*({_VALUE})"
+#: The character references that attribute values use most; & comes last, so that none is read twice.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def raw_links(html: Column) -> Column:
-    """Values of all href attributes of anchors, in document order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    """Values of the first href attributes of anchors, in document order.
+
+    Values may stand in double or single quotes or in none, with spaces round the
+    equals sign; anchors in comments, scripts and styles are none. Of character
+    references those in ``ENTITIES`` are resolved; the parser "html" knows all.
+    """
+    shown = F.when(html.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(html, HIDDEN, "")).otherwise(html)
+
+    def value(x: Column) -> Column:
+        quoted = F.substring(x, 1, 1).isin('"', "'")
+        plain = F.when(quoted, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+        resolved = plain
+        for name, sign in ENTITIES:
+            resolved = F.replace(resolved, F.lit(name), F.lit(sign))
+        return F.when(F.contains(plain, F.lit("&")), resolved).otherwise(plain)
+
+    return F.transform(F.regexp_extract_all(shown, F.lit(ANCHOR)), value)
 
 
 def clean_links(url: Column, hrefs: Column, config: ExtractConfig = ExtractConfig()) -> Column:

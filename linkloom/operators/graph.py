@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.links import with_links
+from .order import numbered
 
 
 def multigraph(pages: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
@@ -73,19 +74,5 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 
 def vertex_ids(nodes: DataFrame) -> DataFrame:
-    """(id, vid): dense numbers from 0 in order of id.
-
-    Range partitions are sorted apart and counted; only the counts of the
-    partitions meet to give each its first number.
-    """
-    ordered = nodes.select("id").repartitionByRange("id").sortWithinPartitions("id")
-    marked = ordered.select("id", F.monotonically_increasing_id().alias("m")).select("id", F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    from ..lineage import cut
-
-    marked = cut(marked)
-    from pyspark.sql import Window
-
-    sizes = marked.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return marked.join(firsts, "part").select("id", (F.col("first") + F.col("place")).alias("vid"))
+    """(id, vid): dense numbers from 0 in order of id."""
+    return numbered(nodes.select("id"), "vid", F.col("id"))

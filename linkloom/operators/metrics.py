@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import load_imbalance
+from .order import numbered
 
 
 def _differences(reference: DataFrame, test: DataFrame) -> DataFrame:
@@ -31,17 +32,12 @@ def validate(reference: DataFrame, test: DataFrame, tolerance: float = 1e-4) ->
 
 
 def gini(ranks: DataFrame) -> DataFrame:
-    """One row: the Gini coefficient (0: equal), n and total.
-
-    Equal values are counted together, so the running sum has a row a distinct value.
-    """
-    values = ranks.groupBy(F.col("rank").alias("v")).agg(F.count("*").alias("c"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = values.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    # the ascending places of a value's c copies add up to c * below + c * (c + 1) / 2
-    row = placed.agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.sum(F.col("v") * (F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2)).alias("weighted"))
+    """One row: the Gini coefficient (0: equal), n and total, of ``ranks`` (id, rank)."""
+    # equal ranks may take their places in any order; the id spreads them over partitions
+    placed = numbered(ranks.select("id", "rank"), "place", F.col("rank"), F.col("id"))
+    row = placed.agg(F.count("*").alias("n"), F.sum("rank").alias("total"), F.sum(F.col("rank") * (F.col("place") + 1)).alias("weighted"))
     coefficient = F.when((F.col("n") > 0) & (F.col("total") > 0), 2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0)
-    return row.select(coefficient.alias("gini"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    return row.select(coefficient.alias("gini"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def task_stats(tasks: DataFrame, by: list[str], seconds: str = "seconds") -> DataFrame:

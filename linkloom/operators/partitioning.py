@@ -5,13 +5,16 @@ Assignments are columns of (id, vid, part, work); work is in-degree + 1.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from .order import numbered
+
+
+#: Most runs of the greedy plan that go to every executor.
+BROADCAST_RUNS = 20_000
 
 
 def _check(k: int) -> None:
@@ -32,51 +35,49 @@ def by_hash(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.withColumn("part", F.pmod("vid", F.lit(k)).cast("int"))
 
 
-def _greedy(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int], list[int]]]:
-    """For each (work, count), largest work first: (work, rank of its first vertex, parts of the first vertices, parts that repeat after them).
+def _greedy(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """For each (work, count), largest work first: runs (work, first place, place after the last, parts that repeat over these).
 
     The rule is that the next vertex goes to the part of least load, ties to the
-    lowest part. Within vertices of equal work the parts' loads level out, after
-    which the order of parts repeats; so no list is as long as its class.
+    lowest part. A part of load L takes its j-th vertex of a class when its load is
+    L + j * work, so in units of work it takes one at each level from L div work on,
+    in order of (L mod work, part) within a level. Between two levels at which
+    further parts begin, the same parts repeat: a class has at most k runs, however
+    many vertices it has.
     """
-    heap, out, first = [(0, part) for part in range(k)], [], 0
-    for work, count in classes:
-        head, done = [], 0
-        while done < count and heap[0][0] + work <= max(heap)[0]:
-            load, part = heapq.heappop(heap)
-            heapq.heappush(heap, (load + work, part))
-            head.append(part)
-            done += 1
-        cycle = [part for _, part in sorted(heap)] if done < count else []
-        rounds, rest = divmod(count - done, k)
-        loads = {part: load + work * rounds for load, part in heap}
-        for part in cycle[:rest]:
-            loads[part] += work
-        heap = [(load, part) for part, load in loads.items()]
-        heapq.heapify(heap)
-        out.append((work, first, head, cycle))
-        first += count
+    loads, out, place = [0] * k, [], 0
+    for work, left in classes:
+        begins = [load // work for load in loads]
+        within = sorted(range(k), key=lambda p: (loads[p] % work, p))
+        levels = sorted(set(begins))
+        for level, upper in zip(levels, [*levels[1:], None], strict=True):
+            cycle = [p for p in within if begins[p] <= level]
+            n = left if upper is None else min(left, (upper - level) * len(cycle))
+            if not n:
+                break
+            rounds, rest = divmod(n, len(cycle))
+            for at, p in enumerate(cycle):
+                loads[p] += work * (rounds + (at < rest))
+            out.append((work, place, place + n, cycle))
+            place, left = place + n, left - n
     return out
 
 
 def edge_balanced(nodes: DataFrame, k: int) -> DataFrame:
     """Longest work first, each vertex to the part of least load so far; ties of work by vid.
 
-    Only the histogram of works reaches the driver; vertices find their part by
-    their rank in order of work, which range partitions and their counts give.
+    Only the histogram of works reaches the driver (of E edges, at most about the
+    root of 2 E different works); vertices find their part by their place in order of work.
     """
     _check(k)
-    ordered = nodes.repartitionByRange(F.col("work").desc(), F.col("vid")).sortWithinPartitions(F.col("work").desc(), F.col("vid"))
-    marked = cut(ordered.withColumn("m", F.monotonically_increasing_id()))
-    marked = marked.withColumn("chunk", F.shiftright("m", 33).cast("int")).withColumn("place", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = marked.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    classes = [(r["work"], r["n"]) for r in marked.groupBy("work").agg(F.count("*").alias("n")).orderBy(F.desc("work")).collect()]
-    plan = nodes.sparkSession.createDataFrame(_greedy(classes, k) or [(0, 0, [], [])], "work long, start long, head array<int>, cycle array<int>")
-    ranked = marked.join(firsts, "chunk").join(plan, "work").withColumn("r", (F.col("first") + F.col("place") - F.col("start")).cast("int"))
-    n = F.size("head")
-    part = F.when(F.col("r") < n, F.get("head", F.col("r"))).otherwise(F.get("cycle", F.when(F.size("cycle") > 0, F.pmod(F.col("r") - n, F.size("cycle"))).otherwise(0)))
-    return ranked.withColumn("part", part.cast("int")).select(*nodes.columns, "part")
+    placed = numbered(nodes, "place", F.col("work").desc(), F.col("vid"))
+    classes = [(r["work"], r["n"]) for r in nodes.groupBy("work").agg(F.count("*").alias("n")).orderBy(F.desc("work")).collect()]
+    runs = _greedy(classes, k)
+    plan = nodes.sparkSession.createDataFrame(runs, "of long, first long, after long, cycle array<int>")
+    plan = F.broadcast(plan) if len(runs) <= BROADCAST_RUNS else plan
+    here = (F.col("work") == F.col("of")) & F.col("place").between(F.col("first"), F.col("after") - 1)
+    turn = F.pmod(F.col("place") - F.col("first"), F.size("cycle")).cast("int")
+    return placed.join(plan, here).withColumn("part", F.get("cycle", turn)).select(*nodes.columns, "part")
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {"range": by_range, "hash": by_hash, "edge_balanced": edge_balanced}

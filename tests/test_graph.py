@@ -4,11 +4,13 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.config import ExtractConfig, RankConfig
-from linkloom.functions.links import with_links
+from linkloom.functions.links import raw_links, with_links
 from linkloom.operators import components, graph, growth, incremental, metrics, partitioning, synthetic
 from linkloom.operators import pagerank as P
+from linkloom.plans.catalog import WRITTEN
 
 EDGES = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("d", "f"), ("e", "e"), ("x", "y")]
 # From an independent power iteration in plain Python, d = 0.85.
@@ -137,6 +139,30 @@ def test_edge_balanced_is_greedy(spark, k):
     assert {r["vid"]: r["part"] for r in partitioning.assign(nodes, " Edge_Balanced ", k).collect()} == want
 
 
+def test_edge_balanced_plan_stays_short():
+    plan = partitioning._greedy([(300_000, 1), (1, 200_000)], 8)
+    assert len(plan) <= 16 and all(len(cycle) <= 8 for *_, cycle in plan)
+    assert [end for _, _, end, _ in plan][-1] == 200_001
+    assert partitioning._greedy([], 4) == []
+
+
+def test_gini_of_ties_and_nothing(spark):
+    rows = spark.createDataFrame([(i, 1.0) for i in range(50)], "id long, rank double")
+    assert metrics.gini(rows).first()["gini"] == pytest.approx(0)
+    row = metrics.gini(rows.limit(0)).first()
+    assert (row["gini"], row["n"], row["total"]) == (0, 0, 0)
+    skew = rows.withColumn("rank", F.when(F.col("id") == 0, 1.0).otherwise(0.0))
+    assert metrics.gini(skew).first()["gini"] == pytest.approx(0.98)
+
+
+def test_both_parsers_read_anchors_alike(spark):
+    rows = spark.createDataFrame([(f"http://h/{i}", html) for i, html in WRITTEN], "url string, html string")
+    told = [{r["url"]: r["links"] for r in with_links(rows, ExtractConfig(parser=p)).collect()} for p in ("regex", "html")]
+    assert told[0] == told[1] and sum(map(len, told[0].values())) == 10
+    many = "<a " + "x='y' " * 20_000 + "href=/end>" + "<a " * 5000
+    assert [r["x"] for r in spark.createDataFrame([(many,)], "html string").select(raw_links(F.col("html")).alias("x")).collect()] == [["/end"]]
+
+
 def test_partitions(spark):
     nodes = spark.createDataFrame([(str(i), i, 1) for i in range(7)], "id string, vid long, work long")
     assert [r["part"] for r in partitioning.by_range(nodes, 3).orderBy("vid").collect()] == [0, 0, 1, 1, 2, 2, 2]
