@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ExtractConfig, GrowthConfig
 from ..functions.links import with_links
 from ..functions.urls import cache_key
+from ..lineage import cut
 from . import incremental as I
 
 
@@ -75,7 +76,7 @@ def crawl_stats(fates: DataFrame) -> DataFrame:
 
 def grow(previous: DataFrame, pages: DataFrame, cache: DataFrame, config: ExtractConfig = ExtractConfig()) -> Step:
     """One step: extract the pages that are not sources yet and append their edges."""
-    fates = extract_cached(pages, previous.select(F.col("src").alias("id")), cache, config)
+    fates = cut(extract_cached(pages, previous.select(F.col("src").alias("id")), cache, config))  # read by edges, delta, statistics and cache
     added = fates.select(F.col("url").alias("src"), F.explode("links").alias("dst"))
     edges = previous.select("src", "dst").unionByName(added)
     cached = fates.where("status = 'miss'").select(cache_key(F.col("url")).alias("key"), "url", "links")

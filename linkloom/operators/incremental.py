@@ -104,7 +104,7 @@ def warm(graph: Graph, previous: DataFrame, config: RankConfig = RankConfig()) -
 def localised(graph: Graph, previous: DataFrame, dirty: DataFrame, config: RankConfig = RankConfig()) -> Ranks:
     """Only dirty vertices move, with the base term and dangling mass of the whole graph; ranks are normalised at the end."""
     got = converge(graph, config, warm_start(graph.vertices, previous), dirty)
-    return Ranks(normalised(got.ranks), got.iterations, got.deltas)
+    return Ranks(normalised(got.ranks), got.iterations, got.deltas, got.blocks)
 
 
 def warm_fixed(graph: Graph, previous: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:

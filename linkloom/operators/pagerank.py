@@ -16,7 +16,8 @@ lineage between chains.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,12 @@ CHAIN = 5
 
 @dataclass
 class Ranks:
-    """ranks (id, rank); iterations done; the change of each."""
+    """ranks (id, rank); iterations done; the change of each; (iterations, when it ended) of each block of them."""
 
     ranks: DataFrame
     iterations: int
     deltas: list[float]
+    blocks: list[tuple[int, float]] = field(default_factory=list)
 
 
 @dataclass
@@ -171,7 +173,7 @@ def fixed(graph: Graph, iterations: int, damping: float = 0.85, start: DataFrame
 
 def converge(graph: Graph, config: RankConfig = RankConfig(), start: DataFrame | None = None, active: DataFrame | None = None, execution: str = "auto") -> Ranks:
     """Iterates until the change is under the threshold, looking after each block of iterations."""
-    graph, deltas, done, ranks = graph.kept(), [], 0, start
+    graph, deltas, blocks, done, ranks = graph.kept(), [], [], 0, start
     if active is not None:
         active = cut(active.select("id").distinct())
     while done < config.max_iterations:
@@ -183,9 +185,10 @@ def converge(graph: Graph, config: RankConfig = RankConfig(), start: DataFrame |
         deltas += got[:last]
         done += last
         ranks = cut(block.select("id", F.col(f"r{last}").alias("rank")))
+        blocks.append((last, time.time()))
         if small:
             break
-    return Ranks(fixed(graph, 0) if ranks is None else ranks, done, deltas)
+    return Ranks(fixed(graph, 0) if ranks is None else ranks, done, deltas, blocks)
 
 
 def top(ranks: DataFrame, n: int, digits: int = 10) -> DataFrame:

@@ -50,11 +50,15 @@ def parser() -> argparse.ArgumentParser:
     group = c.add_mutually_exclusive_group(required=True)
     group.add_argument("--all", action="store_true")
     group.add_argument("--version", type=int)
+    c.add_argument("--cache-dir", help="extracted links, read before and added to after each step")
+    c.add_argument("--delta-dir", help="where the delta of each step is stored")
 
     c = command("evaluate", "Groups A (scaling), B (partitions), C (updates).")
     c.add_argument("graph")
     c.add_argument("--group", choices=("A", "B", "C", "all"), default="all")
     c.add_argument("--quick", action="store_true")
+    c.add_argument("--partitions", type=int, default=4, help="parts of group B")
+    c.add_argument("--output-dir", help="where each group's rows and an index of the groups are stored")
 
     c = command("generate", "A synthetic clustered graph.")
     c.add_argument("nodes", type=int)
@@ -73,10 +77,16 @@ def _grow(spark: SparkSession, args) -> str:
         if n == 0:
             writers.snapshot(G.multigraph(growth.version(pages, 0)), args.output, 0)
             continue
-        empty = spark.createDataFrame([], "key string, url string, links array<string>")
-        step = growth.grow(readers.version(spark, args.output, n - 1), growth.version(pages, n), empty)
+        cache = spark.createDataFrame([], "key string, url string, links array<string>")
+        if args.cache_dir and readers.exists(spark, args.cache_dir):
+            cache = readers.link_cache(spark, args.cache_dir)
+        step = growth.grow(readers.version(spark, args.output, n - 1), growth.version(pages, n), cache)
         told.append({"version": n} | step.stats.first().asDict() | step.delta.summary.first().asDict())
         writers.snapshot(step.edges, args.output, n)
+        if args.delta_dir:
+            writers.delta(step.delta, f"{args.delta_dir}/v{n - 1}_v{n}")
+        if args.cache_dir:
+            writers.cache(step.cached, args.cache_dir)
     return report.table(told)
 
 
@@ -104,13 +114,18 @@ def _evaluate(spark: SparkSession, args) -> str:
     edges = spark.read.parquet(args.graph)
     numbers = sorted(r["version"] for r in edges.select("version").distinct().collect())
     versions = [readers.version(spark, args.graph, n) for n in numbers]
-    graph, told = P.Graph.of(versions[0]), []
-    if args.group in ("A", "all"):
-        told.append(report.table(evaluate.group_a(graph, workers=(1, 4) if args.quick else (1, 2, 4))))
-    if args.group in ("B", "all"):
-        told.append(report.table(evaluate.group_b(graph, strategies=("range", "edge_balanced") if args.quick else ("range", "hash", "edge_balanced"))))
-    if args.group in ("C", "all"):
-        told.append(report.table(evaluate.group_c(versions[:2] if args.quick else versions)))
+    graph = P.Graph.of(versions[0]).kept()
+    groups = {
+        "A": lambda: evaluate.group_a(graph, workers=(1, 4) if args.quick else (1, 2, 4)),
+        "B": lambda: evaluate.group_b(graph, args.partitions, ("range", "edge_balanced") if args.quick else ("range", "hash", "edge_balanced")),
+        "C": lambda: evaluate.group_c(versions[:2] if args.quick else versions),
+    }
+    told = []
+    for name in groups if args.group == "all" else args.group:
+        rows = groups[name]()
+        told.append(report.table(rows))
+        if args.output_dir:
+            writers.group_results(name, rows, args.output_dir)
     return "\n\n".join(told)
 
 

@@ -149,10 +149,14 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("m").alias("id", "rank"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read_or_create(spark: SparkSession, path: str, make: Callable[[], DataFrame | None]) -> DataFrame:
     """The table at the path; if there is none, what ``make`` gives is written there first."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         made = make()
         if made is None:
             raise FileNotFoundError(path)

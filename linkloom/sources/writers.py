@@ -57,3 +57,17 @@ def run_stats(stats, path: str) -> None:
     (folder / "metrics.json").write_text(json.dumps(stats.as_dict(), indent=2))
     pd.json_normalize(stats.summary()).to_csv(folder / "metrics_summary.csv", index=False)
     pd.DataFrame(stats.rows()).to_csv(folder / "iteration_log.csv", index=False)
+
+
+def group_results(group: str, rows: list[dict], path: str) -> None:
+    """An evaluation group's rows as <path>/group<X>/summary.json and .csv, and its line in <path>/index.json, on the driver's side."""
+    import pandas as pd
+
+    root = Path(path)
+    folder = root / f"group{group}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "summary.json").write_text(json.dumps(rows, indent=2))
+    pd.json_normalize(rows).to_csv(folder / "summary.csv", index=False)
+    index = root / "index.json"
+    known = json.loads(index.read_text()) if index.exists() else {}
+    index.write_text(json.dumps(known | {group: {"rows": len(rows), "folder": folder.name}}, indent=2, sort_keys=True))
