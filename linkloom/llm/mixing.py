@@ -2,9 +2,7 @@
 
 Sources by code point (null last) weigh 1, 2, 3, 1, ... and share the words of
 all documents; a target above three times its source's words stops there, and
-the excess is shared again by weight. The fixed point of that sharing is found
-at once: the common words per weight are the greatest that any number of lowest
-caps leaves over.
+the excess is shared again by weight, until no target is above its cap.
 
 Every document of a source starts with the same copies, target / source's words:
 a whole part and a fraction. Fractions are rounded by pairs: one document's words
@@ -24,9 +22,10 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from .common import WORD, cut, prepare, small_side
 
 CHUNK, MOST, SEED = 64, 3, 20240917
@@ -34,18 +33,24 @@ _TINY = 1e-12
 
 
 def with_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
-    """``sources`` (source, source_size) with weight, target and copies.
+    """``sources`` (source, source_size), one row each, with weight, target and copies.
 
-    One row a source; the ranks and running sums over them are taken in one task.
+    No task sees all sources: places by name come from range partitions, and the
+    words per weight rise from one aggregation to the next as sources stop at their
+    caps, until none is above. Sums are whole numbers, so reruns agree.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sources.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("cap", F.col("source_size") * most)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    lower, here_on = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(lower), F.lit(0))
-    rows = rows.withColumn("level", left / F.sum("weight").over(here_on))
-    rows = rows.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.max("level").over(everything)))
+    placed = numbered(sources, "place", F.col("source").asc_nulls_last())
+    rows = cut(placed.select("source", "source_size", (F.col("place") % 3 + 1).alias("weight"), (F.col("source_size") * most).alias("cap")))
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level = 0.0
+    while True:
+        stopped = F.col("cap") <= F.col("weight") * level
+        sums = rows.agg(F.sum(F.when(stopped, F.col("cap"))).alias("capped"), F.sum(F.when(~stopped, F.col("weight"))).alias("weights")).first()
+        higher = (total - (sums["capped"] or 0)) / sums["weights"] if sums["weights"] else level
+        if higher <= level:
+            break
+        level = higher
+    rows = rows.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)))
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     return rows.select("source", "source_size", "weight", "target", copies.alias("copies"))
 
