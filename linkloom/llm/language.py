@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, prepare
+from .common import cut, fold, prepare, small_side
 
 WINDOW, OVERLAP, WIDTHS, FILTERS, DIMENSIONS = 256, 4, (2, 3, 4, 5), 10, 6
 #: Bounds of the training set: documents a language, windows of a document; then passes.
@@ -145,12 +145,13 @@ def fit(docs: DataFrame, excluded_fold: int = 2, folds: int = 4) -> LanguageMode
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["doc_id", "lang", "bytes"])
 
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy("lang").collect()]
-    got = []
-    for name in names:
-        ids = rows.where(F.col("lang") == name).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCS)
-        own = rows.where(F.col("lang") == name).join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
-        got += own.mapInArrow(pieces, "doc_id long, lang string, bytes binary").distinct().collect()
+    # each task keeps the least of its own rows of a language before any are exchanged
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+    taught = cut(hashed.withColumn("place", F.dense_rank().over(by_hash)).where(F.col("place") <= DOCS).select("lang", "doc_id").distinct())
+    names = [r.lang for r in taught.select("lang").distinct().orderBy("lang").collect()]
+    own = rows.join(small_side(taught), ["lang", "doc_id"]).select("doc_id", "lang", "text")
+    got = own.mapInArrow(pieces, "doc_id long, lang string, bytes binary").distinct().collect()
     if not got:
         return None
     got = sorted((r.doc_id, r.lang, bytes(r.bytes)) for r in got)
