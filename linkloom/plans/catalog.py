@@ -518,7 +518,7 @@ def batch_ids(spark, sf_dir):
 def _cache(spark, sf_dir):
     """Extractions of every page whose id is a multiple of 3, as an earlier crawl left them."""
     rows = with_links(pages(spark, sf_dir).where("page_id % 3 = 0"))
-    return rows.select(U.cache_key(F.col("url")).alias("key"), "url", "links")
+    return rows.select(U.cache_key(F.col("url")).alias("key"), "url", "links", "page_id")
 
 
 _STEP = f"""{O.LINKS}, {O.web_version(SHARES[0], "old")}, fates AS MATERIALIZED (

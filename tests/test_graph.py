@@ -193,6 +193,14 @@ def test_growth_step_skips_what_is_known(spark):
     assert step.edges.count() == 6 and step.cached.count() == 2 and step.delta.affected.count() == 0
 
 
+def test_growth_step_takes_each_pages_own_links(spark):
+    pages = spark.createDataFrame([(i, "http://h.com/same", f'<a href="/{i}">') for i in range(4)], "page_id long, url string, html string")
+    cache = spark.createDataFrame([(i, "http://h.com/same", [f"http://h.com/{i}"]) for i in (0, 1, 3)], "page_id long, url string, links array<string>").selectExpr("substring(sha1(url), 1, 16) AS key", "url", "links", "page_id")
+    step = growth.grow(graph.multigraph(pages.limit(0)), pages, cache)
+    assert sorted(r["dst"] for r in step.edges.collect()) == [f"http://h.com/{i}" for i in range(4)] == sorted(r["dst"] for r in step.delta.new_edges.collect())
+    assert [(r["page_id"], r["links"]) for r in step.cached.collect()] == [(2, ["http://h.com/2"])]
+
+
 def test_generator(spark):
     small, large = (g.toPandas() for g in synthetic.series(spark, (1500, 3000)))
     pairs = lambda f: set(map(tuple, f.to_numpy()))
