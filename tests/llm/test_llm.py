@@ -214,6 +214,22 @@ def test_near_lines_against_brute_force(spark):
     assert len(gone) >= 0.97 * len(later), (len(gone), len(later))
 
 
+def test_like_lines_with_few_common_words_or_drift(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12)]
+    typos = words[:3] + [w[:4] + "_" + w[5:] for w in words[3:]]
+    few = " ".join(rng.choices(["ab", "cde", "fghi", "kl", "mnopq", "rst"], k=2400))
+    drifted = few[700:] + " " + " ".join(rng.choices(["uv", "wxy"], k=200))
+    unlike = " ".join(rng.choices(["uv", "wxyz", "abc"], k=2300))
+    pairs = [(0, 1, " ".join(words), " ".join(typos)), (2, 3, few, drifted), (4, 5, few, unlike)]
+    assert min(len(few), len(drifted), len(unlike)) > line_dedup.LONG
+    got = line_dedup._alike(spark.createDataFrame(pairs, "a long, b long, na string, nb string"), 0.8).select("a", "b").collect()
+    assert {tuple(r) for r in got} == {(0, 1), (2, 3)}
+    short = ["abcdefghi jkl mnopqrstu", "abcdefghi jxl mnopqrstu", "vwxyzabcd efghijk", "vwxyzabcd efghipk"]
+    rows = [(0, " ".join(words)), (1, " ".join(typos).replace("_", "z")), (2, few), (3, drifted), *enumerate(short, 4)]
+    assert [r["__n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 1] * 4
+
+
 def test_line_dedup_against_exact_copies(spark, docs, texts, odd):
     got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
     tables = str.maketrans("123456789\t\r\v\f", "000000000    ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
