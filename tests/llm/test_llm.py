@@ -230,6 +230,17 @@ def test_like_lines_with_few_common_words_or_drift(spark):
     assert [r["__n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 1] * 4
 
 
+def test_runs_of_usual_words_come_last(spark):
+    rows = [(i, i, f"of the and in of the {' '.join(f'w{chr(97 + i // 26)}{chr(97 + i % 26)}{c}' for c in 'abcdefghijkl')}") for i in range(300)]
+    lines = line_dedup._lines(spark.createDataFrame(rows, f"{line_dedup._ID} long, {line_dedup._HASH} long, text string"))
+    told = line_dedup._frequencies(lines)
+    assert told[1] == 300 * 18 and max(told[0]) >= round(line_dedup.STEPS * 9.2)  # "of" and "the" are there 600 times
+    met = lambda frame: frame.select(F.explode("runs").alias("run")).groupBy("run").count().where("count > 1").count()
+    assert met(line_dedup._with_runs(lines, told)) == 0 and met(line_dedup._with_runs(lines)) > 0
+    got = line_dedup._with_runs(lines, told).first()["runs"]
+    assert len(got) == line_dedup.LEAST and all(r >> 57 == 0 for r in got)
+
+
 def test_line_dedup_against_exact_copies(spark, docs, texts, odd):
     got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
     tables = str.maketrans("123456789\t\r\v\f", "000000000    ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
