@@ -90,8 +90,8 @@ def _sketches(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             ids = np.array([_identity(s) for s in sets], np.int64).reshape(n, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, parity) for k in range(x.shape[1])], lists],
-                ["doc_id", "hash", "n_shingles", "id1", "id2", *SIGNATURE, *PARITY, "bands"],
+                [batch.column(0), *batch.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *[pa.array(np.ascontiguousarray(x[:, k])) for x in (packed, parity) for k in range(x.shape[1])], lists],
+                ["doc_id", *batch.schema.names[2:], "n_shingles", "id1", "id2", *SIGNATURE, *PARITY, "bands"],
             )
 
     return run

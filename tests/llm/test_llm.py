@@ -241,6 +241,46 @@ def test_runs_of_usual_words_come_last(spark):
     assert len(got) == line_dedup.LEAST and all(r >> 57 == 0 for r in got)
 
 
+def test_unlike_lines_that_quote_a_passage_do_not_meet(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: f"w{letters[k // 26]}{letters[k % 26]}{letters[i]}"
+    passage = "one passage that every line of these quotes as it stands"
+    rows = [(k, k, f"{' '.join(word(k, i) for i in range(13))} {passage} {' '.join(word(k, i) for i in range(13, 26))}") for k in range(200)]
+    lines = line_dedup._lines(spark.createDataFrame(rows, f"{line_dedup._ID} long, {line_dedup._HASH} long, text string"))
+    told = line_dedup._frequencies(lines)
+    held = line_dedup._with_runs(lines, told, line_dedup.HELD)
+    met = lambda frame: frame.select(F.explode("runs").alias("run")).groupBy("run").count().where("count > 1").count()
+    assert met(line_dedup._with_runs(lines, told)) > 0 and met(line_dedup._least(held, line_dedup._usual(held))) == 0
+    # nor do sums of words that all lines hold make sketches agree
+    common = " ".join(f"{w} the" for w in "of and in to is it as at by on or we be he so do go up".split())
+    texts = spark.createDataFrame([(k, k, f"{common} {' '.join(word(k, i) for i in range(9))}") for k in range(300)], f"{line_dedup._ID} long, {line_dedup._HASH} long, text string")
+    lines = line_dedup._lines(texts).withColumn("chars", F.length("norm"))
+    keys = lambda *told: line_dedup._simhashes(lines, *told).select(F.explode(line_dedup._sim_keys()).alias("key")).groupBy("key").count().where("count > 1").count()
+    assert keys() > 0 and keys(line_dedup._frequencies(lines)) == 0
+
+
+def test_bounds_of_edits_decide_as_the_whole_distance(spark):
+    rng = random.Random(3)
+    letters = "abcdefgh "
+    rows = []
+    for i in range(400):
+        a = list("".join(rng.choices(letters, k=rng.randint(1, 160))).strip() or "a")
+        b = list(a)
+        # edits all over, or all of them at the beginning, or at the end, around the bound
+        low, high = [(0, 1), (0, 0.3), (0.7, 1)][i % 3]
+        for _ in range(rng.randint(0, max(1, len(a) * 3 // 10))):
+            at = rng.randint(int(low * len(b)), int(high * len(b)))
+            b[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        rows.append((i, "".join(a), "".join(b) or "b"))
+    pairs = spark.createDataFrame(rows, "a long, na string, nb string").withColumn("b", F.col("a") + 1000)
+    longer = F.greatest(F.length("na"), F.length("nb"))
+    allowed = F.floor(longer * 0.2 + 1e-9).cast("int")
+    want = {r["a"] for r in pairs.where(F.levenshtein("na", "nb") <= allowed).select("a").collect()}
+    assert 100 < len(want) < 390
+    assert {r["a"] for r in pairs.where(line_dedup._edits_within("na", "nb", longer, allowed, 0.8)).select("a").collect()} == want
+    assert {r["a"] for r in line_dedup._alike(pairs, 0.8).select("a").collect()} == want
+
+
 def test_line_dedup_against_exact_copies(spark, docs, texts, odd):
     got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(docs).collect()}
     tables = str.maketrans("123456789\t\r\v\f", "000000000    ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
