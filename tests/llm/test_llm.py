@@ -410,6 +410,19 @@ def test_packing_ids_are_the_tokenizers():
     assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
 
 
+def test_packing_asks_the_tokenizer_for_odd_words_alone(monkeypatch):
+    import public_tokenizers
+
+    table = packing.WordTable(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    each = packing.WordTable._learn_each
+    monkeypatch.setattr(packing.WordTable, "_learn_each", lambda self, words: (asked.extend(words), each(self, words)))
+    text = "Éclair, THE reoratnt*** naïve ÿ µ straße!! it's x\u0301y 中文 12th \u212a"
+    encoded = packing._tokenizer(table.path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(table.ids([text])[0], "<u4").tolist() == encoded
+    assert not {"éclair", "the", "reoratnt", "naïve", "straße"} & set(asked) and {"it's", "12th", "中文"} <= set(asked)
+
+
 def test_packing_is_whole(spark, docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
