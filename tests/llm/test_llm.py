@@ -268,7 +268,7 @@ def test_bounds_of_edits_decide_as_the_whole_distance(spark):
         b = list(a)
         # edits all over, or all of them at the beginning, or at the end, around the bound
         low, high = [(0, 1), (0, 0.3), (0.7, 1)][i % 3]
-        for _ in range(rng.randint(0, max(1, len(a) * 3 // 10))):
+        for _ in range(rng.randint(0, max(1, len(a) * 7 // 10))):
             at = rng.randint(int(low * len(b)), int(high * len(b)))
             b[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
         rows.append((i, "".join(a), "".join(b) or "b"))
