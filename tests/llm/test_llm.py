@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.lineage import checkpoint_folder
 from linkloom.llm import chat, components, language, line_dedup, mixing, near_dedup, packing, quality, quality_rules, secrets, topk
 from linkloom.llm.queries import ORACLES, QUERIES
 
@@ -293,6 +295,31 @@ def test_line_dedup_against_exact_copies(spark, docs, texts, odd):
     assert line_dedup.dedup_lines(odd).count() == len(ODD)
 
 
+def test_line_dedup_frees_texts_and_the_drivers_heap(spark, monkeypatch):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    folder, seen, alike = checkpoint_folder(spark), [], line_dedup._alike
+    known = set(os.listdir(folder.removeprefix("file:")))
+
+    def watched(pairs, similarity):
+        new = [f"{folder}/{n}" for n in os.listdir(folder.removeprefix("file:")) if n.startswith("table-") and n not in known]
+        seen.append([set(spark.read.parquet(t).columns) for t in new])
+        return alike(pairs, similarity)
+
+    monkeypatch.setattr(line_dedup, "_alike", watched)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)]
+    rows = [(k, "\n".join([" ".join([*words, f"w{chr(97 + k)}"]), f"alone {words[k]} {words[k + 9]}"])) for k in range(8)]
+    before = full_collections()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    # once the links are sought, only the lines that share a bucket have their texts on disk
+    assert seen and all({"pos", "h1", "h2"} <= set().union(*tables) and not any({"pos", "norm"} <= t for t in tables) for tables in seen)
+    assert full_collections() - before >= 5
+    assert [r["__n_removed"] for r in got.orderBy("doc_id").collect()] == [0] + [1] * 7
+
+
 # 5
 
 
